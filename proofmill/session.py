@@ -87,14 +87,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable, schema: str, spread: bool = True) -> DataFrame:
     """``mapInArrow`` with this package at hand on every executor.
 
-    A small input of fewer partitions than there are cores is spread over all of them first.
+    ``spread``: a plain scan of fewer partitions than there are cores is spread over all of them first. Must be
+    off for a ``df`` with shuffles of its own, which would run just to be counted.
     """
     spark = df.sparkSession
     ship(spark)
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    if spread and df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores)
     return df.mapInArrow(fn, schema)
