@@ -6,12 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.functions.paths import file_name
-from proofmill.llm import frequency, leakage, neardup, overlap, packing, pieces, splits
+from proofmill.llm import encoding, frequency, leakage, neardup, overlap, packing, pieces, splits
 from proofmill.sources.tables import table
 
 LABELED, CANDIDATES, DOCUMENTS, EVAL = "labeled_documents", "candidates", "documents", "eval_items"
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    labeled, cand = table(spark, d, LABELED), table(spark, d, CANDIDATES)
+    model = encoding.train(labeled.select("text"))
+    a = encoding.garbled_texts(labeled, "labeled_id", "text", model).select(F.lit(LABELED).alias("table_name"), "record_id", "restored", "chains")
+    return a.union(encoding.garbled_bytes(cand, "candidate_id", "bytes", model).select(F.lit(CANDIDATES), "record_id", "restored", "chains"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("table_name", "record_id").distinct()
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = neardup.near_duplicate_pairs(table(spark, d, LABELED), "labeled_id", "text", threshold=0.7, width=3)
     return pairs.select(F.col("id_a").alias("labeled_id_a"), F.col("id_b").alias("labeled_id_b"))
@@ -78,7 +93,7 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_spans(table(spark, d, DOCUMENTS), table(spark, d, EVAL))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_terms, p6_found, p6_splits, p7_containers, p8_found, p8_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_terms, p6_found, p6_splits, p7_containers, p8_found, p8_spans)}
 
 _PARTS = r"list_filter(string_split(regexp_replace(replace({c}, '\', '/'), '@[0-9]+-[0-9]+$', ''), '/'), lambda x: x <> '' AND x <> '.')"
 _FOLD = r"(CASE WHEN replace({c}, '\', '/') LIKE '/%' THEN '/' ELSE '' END) || array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({p}, lambda x: [x])), lambda a, b: CASE WHEN b[1] = '..' AND len(a) > 0 AND a[-1] <> '..' THEN a[:-2] WHEN b[1] = '..' AND replace({c}, '\', '/') LIKE '/%' THEN a ELSE list_concat(a, b) END), '/')"
