@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.functions.paths import file_name
-from proofmill.llm import encoding, frequency, leakage, neardup, overlap, packing, pieces, splits
+from proofmill.llm import encoding, frequency, leakage, neardup, overlap, packing, pieces, sentences, splits
 from proofmill.sources.tables import table
 
 LABELED, CANDIDATES, DOCUMENTS, EVAL = "labeled_documents", "candidates", "documents", "eval_items"
@@ -93,7 +93,12 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_spans(table(spark, d, DOCUMENTS), table(spark, d, EVAL))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_terms, p6_found, p6_splits, p7_containers, p8_found, p8_spans)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, DOCUMENTS)
+    return sentences.split_sentences(docs, sentences.train(docs))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_terms, p6_found, p6_splits, p7_containers, p8_found, p8_spans, p9_found)}
 
 _PARTS = r"list_filter(string_split(regexp_replace(replace({c}, '\', '/'), '@[0-9]+-[0-9]+$', ''), '/'), lambda x: x <> '' AND x <> '.')"
 _FOLD = r"(CASE WHEN replace({c}, '\', '/') LIKE '/%' THEN '/' ELSE '' END) || array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({p}, lambda x: [x])), lambda a, b: CASE WHEN b[1] = '..' AND len(a) > 0 AND a[-1] <> '..' THEN a[:-2] WHEN b[1] = '..' AND replace({c}, '\', '/') LIKE '/%' THEN a ELSE list_concat(a, b) END), '/')"
