@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proofmill.session import staged
+
 #: Pairs of rules that exclude each other, and confidence by family. Fixed values.
 CONFLICTS = (("TYPO-001", "TYPO-004"), ("TYPO-002", "TYPO-003"), ("TYPO-002", "TYPO-030"), ("TYPO-003", "TYPO-030"), ("TYPO-004", "TYPO-013"))
 HIGH, MEDIUM, LOW = ("TYPO", "ENC", "CHAR", "SPC", "STRUCT", "SYS"), ("MATH", "DELIM", "SCRIPT", "CHEM"), ("STYLE", "LANG")
@@ -21,6 +23,7 @@ def resolve_conflicts(found: DataFrame) -> DataFrame:
     Of a pair in one document the more severe rule stays, then the one with the lower count, then the lower id.
     Losers are taken from all findings, not from what other conflicts leave.
     """
+    found = staged(found, "findings")  # used three times below; the detectors run once
     spark = found.sparkSession
     pairs = spark.createDataFrame([*CONFLICTS], "a string, b string")
     x = found.select("doc_id", F.col("rule_id").alias("a"), severity_rank(F.col("severity")).alias("ra"), F.col("n").alias("na"))

@@ -87,15 +87,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, over at least as many partitions as there are cores; a large one already has them."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str, spread: bool = True) -> DataFrame:
     """``mapInArrow`` with this package at hand on every executor.
 
     ``spread``: a plain scan of fewer partitions than there are cores is spread over all of them first. Must be
     off for a ``df`` with shuffles of its own, which would run just to be counted.
     """
-    spark = df.sparkSession
-    ship(spark)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df.mapInArrow(fn, schema)
+    ship(df.sparkSession)
+    return (_spread(df) if spread else df).mapInArrow(fn, schema)
+
+
+_spread = spread
