@@ -96,43 +96,56 @@ def _spans(spans: list | None, a: int, b: int, n: int) -> list | None:
     return out
 
 
+#: Rows whose tags are Python objects at once.
+SLICE = 256
+
+
 def _cut(limit: int, overlap: int):
+    schema = pa.schema([("id", pa.int64()), *((k, pa.int32()) for k in ("piece_no", "n_pieces", "piece_start", "piece_end")), ("cut_at", pa.string()), ("text", pa.string()), ("bio_tags", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("span_start", pa.int32()), ("span_end", pa.int32()), ("rule_id", pa.string())]))), ("longest_run", pa.int32())])
+
+    def whole(part, rows: list[int], texts: list) -> pa.RecordBatch:
+        """Rows that stay as they are; tags and spans pass through untouched."""
+        at = pa.array(rows, pa.int64())
+        sizes = [None if texts[i] is None else len(texts[i]) for i in rows]
+        longest = [None if texts[i] is None else max(map(len, _BREAK.findall(texts[i])), default=0) for i in rows]
+        n = len(rows)
+        given = [part.column(k).take(at) for k in range(4)]
+        ends = ["end" if x is not None else None for x in sizes]
+        starts = [0 if x is not None else None for x in sizes]
+        columns = [given[0], [0] * n, [1] * n, starts, sizes, ends, given[1], given[2], given[3], longest]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def cut(part, rows: list[int], texts: list) -> pa.RecordBatch:
+        out = {k: [] for k in schema.names}
+        for i in rows:
+            key, text, n = part.column(0)[i].as_py(), texts[i], len(texts[i])
+            tags, spans = part.column(2)[i].as_py(), part.column(3)[i].as_py()
+            longest = max(map(len, _BREAK.findall(text)), default=0)
+            inside = [(s["span_start"], s["span_end"]) for s in spans or () if s and s["span_start"] is not None and s["span_end"] is not None and s["span_start"] < s["span_end"]]
+            ends, kinds = cut_points(text, limit, overlap, inside)
+            for k, (e, kind) in enumerate(zip(ends, kinds)):
+                a = ends[k - 1] - overlap if k else 0
+                row = (key, k, len(ends), a, e, kind, text[a:e], _tags(tags, a, e), _spans(spans, a, e, n), longest)
+                for name, v in zip(schema.names, row):
+                    out[name].append(v)
+        return pa.RecordBatch.from_pydict(out, schema=schema)
+
     def run(batches):
-        schema = pa.schema([("id", pa.int64()), *((k, pa.int32()) for k in ("piece_no", "n_pieces", "piece_start", "piece_end")), ("cut_at", pa.string()), ("text", pa.string()), ("bio_tags", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("span_start", pa.int32()), ("span_end", pa.int32()), ("rule_id", pa.string())]))), ("longest_run", pa.int32())])
         for batch in batches:
-            out, size = {k: [] for k in schema.names}, 0
-
-            def add(*row):
-                for k, v in zip(schema.names, row):
-                    out[k].append(v)  # noqa: B023
-
-            for i in range(batch.num_rows):
-                key, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                tags, spans = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                if text is None:
-                    add(key, 0, 1, None, None, None, None, tags, spans, None)
-                    continue
-                n = len(text)
-                longest = max(map(len, _BREAK.findall(text)), default=0)
-                if n <= limit:
-                    add(key, 0, 1, 0, n, "end", text, tags, spans, longest)
-                    continue
-                inside = [(s["span_start"], s["span_end"]) for s in spans or () if s and s["span_start"] is not None and s["span_end"] is not None and s["span_start"] < s["span_end"]]
-                ends, kinds = cut_points(text, limit, overlap, inside)
-                for k, (e, kind) in enumerate(zip(ends, kinds)):
-                    a = ends[k - 1] - overlap if k else 0
-                    add(key, k, len(ends), a, e, kind, text[a:e], _tags(tags, a, e), _spans(spans, a, e, n), longest)
-                    size += e - a
-                if size > 8_000_000:  # a batch of very long texts leaves in parts
-                    yield pa.RecordBatch.from_pydict(out, schema=schema)
-                    out, size = {k: [] for k in schema.names}, 0
-            if out["id"]:
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                texts = part.column(1).to_pylist()
+                long = [i for i, t in enumerate(texts) if t is not None and len(t) > limit]
+                short = [i for i, t in enumerate(texts) if t is None or len(t) <= limit]
+                if short:
+                    yield whole(part, short, texts)
+                for k in range(0, len(long), 16):
+                    yield cut(part, long[k : k + 16], texts)
 
     return run
 
 
-def cut_pieces(df: DataFrame, id_col: str = "labeled_id", text_col: str = "text", tags_col: str = "bio_tags", spans_col: str = "spans", limit: int = 2400, overlap: int = 200) -> DataFrame:
+def cut_pieces(df: DataFrame, id_col: str = "labeled_id", text_col: str = "text", tags_col: str | None = "bio_tags", spans_col: str | None = "spans", limit: int = 2400, overlap: int = 200) -> DataFrame:
     """Every record as pieces of at most ``limit`` code points; consecutive ones overlap by exactly ``overlap``.
 
     Ends of pieces fall after blank lines, sentences or words where they can and outside spans where that is
@@ -143,18 +156,22 @@ def cut_pieces(df: DataFrame, id_col: str = "labeled_id", text_col: str = "text"
     A record within the limit is one piece as it stands, with tags and spans unchanged (short, null,
     overlapping or beyond the end). A null text gives one piece with null text and bounds, an empty one a piece
     of length 0. In cut records spans with null bounds or beyond the end are left out. Repeated rows give
-    repeated pieces; null ids are kept; an empty table gives none; other columns aren't read.
+    repeated pieces; null ids are kept; an empty table gives none; other columns aren't read. Without
+    ``tags_col`` or ``spans_col`` these are null.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
     span = "array<struct<span_start:int,span_end:int,rule_id:string>>"
-    slim = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(tags_col).alias("tags"), F.col(spans_col).cast(span).alias("spans"))
+    slim = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), (F.col(tags_col) if tags_col else F.lit(None).cast("array<string>")).alias("tags"), (F.col(spans_col) if spans_col else F.lit(None)).cast(span).alias("spans"))
     return map_arrow(slim, _cut(limit, overlap), SCHEMA).withColumnRenamed("id", id_col)
 
 
 def oversized(df: DataFrame, limit: int = 2400, **how) -> DataFrame:
-    """(id, kind): 'oversized' for records that had to be cut, 'long_run' for those with a stretch longer than the limit."""
-    pieces = cut_pieces(df, limit=limit, **how)
+    """(id, kind): 'oversized' for records that had to be cut, 'long_run' for those with a stretch longer than the limit.
+
+    Whether a text is cut doesn't hang on its tags and spans, so these aren't read.
+    """
+    pieces = cut_pieces(df, limit=limit, tags_col=None, spans_col=None, **how)
     key = pieces.columns[0]
     kinds = F.array_compact(F.array(F.when(F.col("n_pieces") > 1, "oversized"), F.when(F.col("longest_run") > limit, "long_run")))
     return pieces.where("piece_no = 0").select(key, F.explode(kinds).alias("kind")).distinct()
