@@ -76,6 +76,22 @@ def _features(width: int):
     return run
 
 
+def run_candidates(sets: DataFrame, contained: float) -> DataFrame:
+    """(h, t): pairs of a held-out and a training record, among them every one that shares ``contained`` of h's runs.
+
+    ``sets`` has id, held_out and the distinct runs. A pair may lack n - ceil(contained n) of h's n runs, so of any
+    one more it shares at least one; the rarest in training are taken, those that training lacks first.
+    """
+    index = sets.where("not held_out").select(F.col("id").alias("t"), F.explode("runs").alias("run"))
+    common = index.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    n_runs = F.size("runs")
+    # a little less than the product, whose rounding must not cost a run
+    asked = sets.where("held_out").select(F.col("id").alias("h"), (n_runs - F.ceil(contained * n_runs - 1e-9) + 1).alias("first"), F.explode("runs").alias("run"))
+    asked = asked.join(common, "run", "left").select("h", "first", "run", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    rare = asked.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("n", "run"))).where("k <= first and n > 0").select("h", "run")
+    return salted_join(index, rare, "run", F.col("t"), how_many=common).select("h", "t").distinct()
+
+
 def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, held_out: tuple[str, ...] = ("dev", "test"), train: tuple[str, ...] = ("train",), contained: float = 0.8, width: int = 3, looked_up: float = 0.7, at_least: int = 8, least_met: float = 0.06) -> DataFrame:
     """(held_id, train_id, overlap, shared): pairs of a held-out and a training record where at least
     ``contained`` of the distinct ``width``-word runs of the held-out text occur in the training text.
@@ -83,8 +99,9 @@ def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: s
     Records of a side with equal run sets form a class and are compared once. Every record is cut into
     content-defined chunks; chunk digests are joined across the splits and the lengths of shared chunks summed
     to ``overlap``, their share of the held-out record. Of a record's chunks the rarest are looked up, to
-    ``looked_up`` of its length and ``at_least`` so many; pairs that share less than ``least_met`` of the length
-    in these are no candidates. All candidates are checked on their full run sets (``shared``).
+    ``looked_up`` of its length and ``at_least`` so many, and pairs that share ``least_met`` of the length in
+    these are candidates. No pair hangs on these bounds: ``run_candidates`` adds every pair that can reach
+    ``contained``, whatever its chunks. All candidates are checked on their full run sets (``shared``).
 
     A split is compared in lower case without outer blanks; rows of other or null splits, null or empty texts
     and texts without a run are in no pair; rows with a null id are ignored; repeated rows count once; an empty
@@ -106,16 +123,18 @@ def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: s
     # per record its chunks from the rarest on, with the words that those before make up together
     chunk = F.struct(F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "digest", "words")
     ranked = asked.join(common, "digest", "left").groupBy("h").agg(F.array_sort(F.collect_list(chunk)).alias("c"), F.sum("words").alias("all_words"))
+    length = ranked.select("h", "all_words")
     ranked = ranked.select("h", "all_words", F.posexplode("c").alias("k", "c")).select("h", "all_words", "k", "c.*")
     so_far = F.sum("words").over(Window.partitionBy("h").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
     rare = ranked.withColumn("so_far", so_far).where(((F.coalesce("so_far", F.lit(0)) <= looked_up * F.col("all_words")) | (F.col("k") < at_least)) & (F.col("n") > 0)).select("h", "digest", "words", "all_words")
-    pairs = salted_join(index, rare, "digest", F.col("t"), how_many=common).groupBy("h", "t").agg(F.sum("words").alias("met"), F.first("all_words").alias("all_words"))
-    pairs = pairs.where(F.col("met") >= least_met * F.col("all_words")).select("h", "t", "all_words")
+    met = salted_join(index, rare, "digest", F.col("t"), how_many=common).groupBy("h", "t").agg(F.sum("words").alias("met"), F.first("all_words").alias("all_words"))
+    met = met.where(F.col("met") >= least_met * F.col("all_words")).select("h", "t")
+    pairs = met.union(run_candidates(first, contained)).distinct().join(length, "h")
 
     sets = first.select("id", "held_out", "runs", "digests", "lengths")
     held = sets.where("held_out").select(F.col("id").alias("h"), F.col("runs").alias("hr"), F.arrays_zip("digests", "lengths").alias("hd"))
     near = pairs.join(held, "h").join(sets.where("not held_out").select(F.col("id").alias("t"), F.col("runs").alias("tr"), F.col("digests").alias("td")), "t")
-    near = near.where(F.size("tr") >= contained * F.size("hr")).withColumn("shared", F.size(F.array_intersect("hr", "tr")) / F.size("hr")).where(F.col("shared") >= contained)
+    near = near.where(F.size("tr") >= contained * F.size("hr") - 1e-9).withColumn("shared", F.size(F.array_intersect("hr", "tr")) / F.size("hr")).where(F.col("shared") >= contained)
     found = F.aggregate(F.filter("hd", lambda x: F.array_contains("td", x.digests)), F.lit(0.0), lambda s, x: s + x.lengths)
     near = near.withColumn("overlap", found / F.col("all_words")).select("h", "t", "overlap", "shared")
     near = staged(near, "overlaps")

@@ -61,6 +61,21 @@ def test_overlaps_against_brute_force(spark, near):
     assert got == want and want
 
 
+def test_overlaps_that_chunks_do_not_meet(spark):
+    rng = np.random.default_rng(11)
+    train = made(150, 12, 40)
+    held = [" ".join(t.split()[k : k + 7]) for t in train for k in rng.integers(1, 32, 2).tolist()]
+    for t in train:  # the end of a passage changed: 4 runs of 5 are left
+        w = t.split()[10:17]
+        held.append(" ".join([*w[:-1], "edit"]))
+    texts = train + held
+    d = spark.createDataFrame([(i, t, "train" if i < len(train) else "test") for i, t in enumerate(texts)], "labeled_id bigint, text string, split_name string")
+    got = {(r.held_id, r.train_id) for r in overlap.cross_split_overlaps(d, "labeled_id", "text", "split_name").collect()}
+    sets = [runs(t) for t in texts]
+    want = {(i, j) for i in range(len(train), len(texts)) for j in range(len(train)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i])}
+    assert got == want and len(want) >= len(held)
+
+
 def test_leaks_against_brute_force(spark):
     docs, items = made(30, 3, 120), made(8, 4, 40)
     docs += [docs[0] + " " + items[0].upper() + " x", " ".join(items[1].split()[5:19]), " ".join(items[1].split()[5:16]), None, "", items[2] * 2]
