@@ -169,9 +169,9 @@ def cut_pieces(df: DataFrame, id_col: str = "labeled_id", text_col: str = "text"
 def oversized(df: DataFrame, limit: int = 2400, **how) -> DataFrame:
     """(id, kind): 'oversized' for records that had to be cut, 'long_run' for those with a stretch longer than the limit.
 
-    Whether a text is cut doesn't hang on its tags and spans, so these aren't read.
+    Every record is cut whole, with its tags and spans.
     """
-    pieces = cut_pieces(df, limit=limit, tags_col=None, spans_col=None, **how)
+    pieces = cut_pieces(df, limit=limit, **how)
     key = pieces.columns[0]
     kinds = F.array_compact(F.array(F.when(F.col("n_pieces") > 1, "oversized"), F.when(F.col("longest_run") > limit, "long_run")))
     return pieces.where("piece_no = 0").select(key, F.explode(kinds).alias("kind")).distinct()

@@ -124,6 +124,17 @@ def test_pieces_round_trip(spark):
     assert pieces.cut_pieces(d.limit(0)).count() == 0
 
 
+def test_oversized_cuts_tags_and_spans_too(spark, monkeypatch):
+    given = []
+    whole = pieces.cut_pieces
+    monkeypatch.setattr(pieces, "cut_pieces", lambda *a, **k: given.append(whole(*a, **k)) or given[-1])
+    d = spark.createDataFrame([(1, "word " * 1000, ["B-a"] + ["I-a"] * 4999, [(2300, 2500, "a")])], "labeled_id bigint, text string, bio_tags array<string>, spans array<struct<span_start:int,span_end:int,rule_id:string>>")
+    assert [tuple(r) for r in pieces.oversized(d).collect()] == [(1, "oversized")]
+    got = given[0].orderBy("piece_no").collect()
+    assert len(got) > 1 and all(len(r.bio_tags) == r.piece_end - r.piece_start and r.bio_tags[0] == "B-a" for r in got)
+    assert any(r.spans for r in got)
+
+
 def test_term_frequencies_divide_and_agree(spark):
     rows = [("hot" if i % 3 else f"t{i % 40}", None if i % 11 == 0 else f"f{i % 90}") for i in range(3000)] + [(None, "f1"), ("", "f2")]
     d = spark.createDataFrame(rows, "term string, file string")
