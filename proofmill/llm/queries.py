@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofmill.functions.paths import file_name
 from proofmill.llm import encoding, frequency, leakage, neardup, overlap, packing, pieces, sentences, splits
+from proofmill.session import staged
 from proofmill.sources.tables import table
 
 LABELED, CANDIDATES, DOCUMENTS, EVAL = "labeled_documents", "candidates", "documents", "eval_items"
@@ -70,14 +71,18 @@ def _groups(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return splits.file_and_rule_groups(table(spark, d, LABELED), table(spark, d, CANDIDATES), file_name(F.col("file")))
 
 
+def _splits(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    # staged, as every group is to be placed whatever a query takes of it
+    return {k: staged(splits.grouped_splits(v), f"{k}-splits") for k, v in _groups(spark, d).items()}
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    g = _groups(spark, d)
-    return splits.broken_groups(g["file"]).select(F.lit("file").alias("entity_kind"), "entity_key").union(splits.broken_groups(g["rule"]).select(F.lit("rule"), "entity_key"))
+    one = {k: splits.broken_groups(v).select(F.lit(k).alias("entity_kind"), "entity_key") for k, v in _splits(spark, d).items()}
+    return one["file"].union(one["rule"])
 
 
 def p6_splits(spark: SparkSession, d: str) -> DataFrame:
-    g = _groups(spark, d)
-    one = {k: splits.grouped_splits(v).select(F.lit(k).alias("entity_kind"), "entity_key", "n_rows", "split_name") for k, v in g.items()}
+    one = {k: v.select(F.lit(k).alias("entity_kind"), "entity_key", "n_rows", "split_name") for k, v in _splits(spark, d).items()}
     return one["file"].union(one["rule"])
 
 

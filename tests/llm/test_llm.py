@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from proofmill.llm import encoding, frequency, leakage, neardup, overlap, packing, pieces, sentences, splits
+from proofmill.llm import encoding, frequency, leakage, neardup, overlap, packing, pieces, queries, sentences, splits
 from proofmill.llm.words import words
 
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -170,6 +170,19 @@ def test_grouped_splits_cover_every_group(spark):
     assert splits.grouped_splits(g.limit(0)).count() == 0
 
 
+def test_broken_groups_come_from_the_allocation(spark, monkeypatch, tmp_path):
+    labeled = [(f"f{i % 20}", "dev" if i == 0 else "train", ["r"]) for i in range(60)]
+    rules = [(f"r{i % 9}", 1 if i == 3 else 0, 1) for i in range(40)] + [(None, 0, 0)]
+    spark.createDataFrame(labeled, "file string, split_name string, rule_ids array<string>").write.parquet(f"{tmp_path}/labeled_documents.parquet")
+    spark.createDataFrame(rules, "rule_id string, rule_fold int, label int").write.parquet(f"{tmp_path}/candidates.parquet")
+    placed = []
+    grouped = splits.grouped_splits
+    monkeypatch.setattr(splits, "grouped_splits", lambda *a, **k: placed.append(grouped(*a, **k)) or placed[-1])
+    got = {tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()}
+    assert got == {("file", "f0"), ("rule", "R3")}
+    assert [x.count() for x in placed] == [20, 9]
+
+
 def test_packing(spark):
     pytest.importorskip("tiktoken")
     texts = [t for t in made(300, 8, 200)] + [" ".join(made(1, 9, 3000)), None, "", "  \n a\n% note\nb", "日本語の文。"]
