@@ -224,6 +224,18 @@ def test_encodings(spark):
     assert {r.record_id for r in encoding.garbled_bytes(b, "candidate_id", "bytes", model).collect()} == {1, 5}
 
 
+def test_garbled_words_that_the_corpus_repeats(spark):
+    clean = ["błąd książki porządkuje rozdział", "Größe prüft Änderung", "раздел сборника меняет абзац"] * 700
+    polish, russian = "błąd rozdział".encode("iso8859-2").decode("latin-1"), "сборника".encode("koi8-r").decode("cp1251")
+    texts = clean + [polish, russian] * 2
+    d = spark.createDataFrame(list(enumerate(texts)), "labeled_id bigint, text string")
+    model = encoding.train(d.select("text"))
+    got = {r.record_id: r.restored for r in encoding.garbled_texts(d, "labeled_id", "text", model).collect()}
+    n = len(clean)
+    assert got == {n: "błąd rozdział", n + 1: "сборника", n + 2: "błąd rozdział", n + 3: "сборника"}
+    assert model.margin == encoding.MARGIN and not any("³" in g for g in model.counts)
+
+
 def test_sentences(spark):
     text = "\\section{No. 3}\nThe first one ends here. See Dr. Abel etc. The last (it is). Why? “Stop!” said he. (A whole one.)\n% note. Not prose!\n\\begin{equation}\nx = 1. y\n\\end{equation}\n\\begin{itemize}\n  \\item One thing.\n  \\item Two\nlines.\n\\end{itemize}\n第一句。第二句！\n\nประโยคหนึ่ง ประโยคสอง\n"
     corpus = "/root/testdata/sf0.01/documents.parquet"
