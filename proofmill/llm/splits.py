@@ -1,4 +1,4 @@
-"""Train, dev and test splits that keep groups of records together, by min-cost flow over bundles of groups."""
+"""Train, dev and test splits that keep groups of records together, allocated greedily over bundles of groups."""
 
 from __future__ import annotations
 
@@ -28,14 +28,13 @@ def group_profiles(df: DataFrame, key: Column, split: Column, positive: Column)
 
 
 def allocate(bundles: list[tuple[int, int]], shares: list[float]) -> list[list[int]]:
-    """Groups of each bundle (size, number) for each split, by min-cost flow.
-
-    The network runs from bundles over splits to a sink. An arc from a bundle to a split is free up to the
-    split's share of the bundle and costs ``BUNDLE_COST`` a row beyond; a split's arc to the sink is free up to
-    its quota and costs ``QUOTA_COST`` a row beyond. Flow over the free arcs is the whole part of each share;
-    what is left of each bundle, fewer groups than there are splits, is sent along the cheapest path one group at a
-    time, largest first, and then negative cycles (moves and swaps of such groups between splits) are
-    cancelled until none is left, which keeps every number whole.
+    """Groups of each bundle (size, number) for each split: a greedy heuristic on the costs of a flow, not a min-cost flow.
+
+    A row beyond a split's share of a bundle costs ``BUNDLE_COST``, one beyond a split's quota ``QUOTA_COST``. Every
+    split first gets the whole part of its share of each bundle; what is left of each bundle, fewer groups than there
+    are splits, goes one group at a time, largest first, where it costs least. Then single groups are moved from the
+    most exceeded split to the roomiest while that lowers the cost, for a few rounds. There are no swaps: with a few
+    large groups a quota that a swap would meet can stay exceeded. Every number is whole.
     """
     splits = range(len(shares))
     total = sum(s * k for s, k in bundles)
@@ -69,7 +68,7 @@ def allocate(bundles: list[tuple[int, int]], shares: list[float]) -> list[list[i
         room[to] -= s
         at[i] = to
 
-    # only while a quota is exceeded can a cycle be negative; the smallest loose groups settle it
+    # only while a quota is exceeded can a move help; the smallest loose groups settle it
     for _ in range(4 * len(shares)):
         before = cost()
         for i in range(len(loose) - 1, -1, -1):
