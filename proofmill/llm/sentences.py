@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.session import map_arrow, ship
+from proofmill.session import map_arrow, ship, staged
 
-#: Documents the model is fitted on, chosen by the hash of their id; about this many whatever the corpus.
-TRAIN_DOCS = 20_000
+#: Keys of either side of a mark that keep a weight of their own; the rest share that of their shape.
+MOST_KEYS = 20_000
 #: Passes of expectation maximisation; keys seen less often than this share the weight of their shape.
 PASSES, RARE = 12, 4
 #: What an open context adds to the words known to end and to begin sentences, against a sure one.
@@ -273,27 +273,30 @@ def _contexts(batches):
         yield pa.RecordBatch.from_pydict({"sure": pa.array(sure, pa.int32()), "kind": list(kind), "before": list(x), "behind": list(y), "n": list(counts.values())})
 
 
-def fit(contexts: list[tuple[int, str, str, str, int]]) -> SentenceModel:
-    """The chain's weights by expectation maximisation over counted contexts (sure, kind, before, behind, n).
+def _folded(batches):
+    """Contexts with every rare key in place of its shape, and whether it may begin a sentence at all."""
+    for batch in batches:
+        counts: Counter = Counter()
+        for sure, kind, x, y, n, rare_x, rare_y, begun in zip(*(c.to_pylist() for c in batch.columns)):
+            lower = y[0].islower() and not begun or y[0].isdigit()
+            counts[sure, kind, _shape(x) if rare_x else x, _shape(y) if rare_y else y, lower, begun] += n
+        if counts:
+            yield pa.RecordBatch.from_pydict(dict(zip(("sure", "kind", "before", "behind", "lower", "begun", "n"), [*map(list, zip(*counts)), list(counts.values())])), schema=_FOLDED)
+
+
+_FOLDED = pa.schema([("sure", pa.int32()), ("kind", pa.string()), ("before", pa.string()), ("behind", pa.string()), ("lower", pa.bool_()), ("begun", pa.bool_()), ("n", pa.int64())])
+
 
-    Ends of blocks are sure boundaries. A mark before a lower-case word that begins no block, or before a digit,
-    is taken to be inside at first; everything else is open. What stands before and what stands behind are
-    independent given the tag.
+def fit(contexts: list[tuple[int, str, str, str, bool, bool, int]]) -> SentenceModel:
+    """The chain's weights by expectation maximisation over folded contexts (sure, kind, before, behind, lower, begun, n).
+
+    Ends of blocks are sure boundaries. A mark before a lower-case word that begins no block, or before a digit
+    (``lower``), is taken to be inside at first; everything else is open. What stands before and what stands behind
+    are independent given the tag.
     """
-    freq_x, freq_y, starts = Counter(), Counter(), Counter()
-    for sure, _, x, y, n in contexts:
-        freq_x[x] += n
-        freq_y[y] += n
-        if sure:
-            starts[y] += n
-    rows = []
-    for sure, kind, x, y, n in contexts:
-        kx = x if freq_x[x] >= RARE else _shape(x)
-        ky = y if freq_y[y] >= RARE else _shape(y)
-        lower = y[0].islower() and starts[y] < 1 or y[0].isdigit()
-        rows.append((sure, kind, kx, ky, n, 1.0 if sure else 0.02 if lower else None))
+    rows = [(sure, kind, x, y, n, 1.0 if sure else 0.02 if lower else None) for sure, kind, x, y, lower, _, n in contexts]
     # where nothing is known, a follower that begins some block speaks for a boundary, and so does any mark but a period
-    post = [p if p is not None else 0.9 if starts[c[3]] or c[1] not in (".", "quote") else 0.1 for c, (*_, p) in zip(contexts, rows)]
+    post = [p if p is not None else 0.9 if c[5] or c[1] not in (".", "quote") else 0.1 for c, (*_, p) in zip(contexts, rows)]
     nk, nx, ny = {r[1] for r in rows}, {r[2] for r in rows}, {r[3] for r in rows}
     model = SentenceModel({}, {}, {})
     for _ in range(PASSES):
@@ -327,14 +330,24 @@ def fit(contexts: list[tuple[int, str, str, str, int]]) -> SentenceModel:
     return model
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = TRAIN_DOCS) -> SentenceModel:
-    """The model of a corpus, fitted on about ``most_docs`` documents chosen by the hash of their id."""
-    n = df.count()
-    share = min(1.0, most_docs / max(1, n))
-    rows = df.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)).alias("h")).where((F.length("text") > 0) & (F.col("h") < int(share * 1_000_000) + 1)).select("text")
-    counted = map_arrow(rows, _contexts, "sure int, kind string, before string, behind string, n bigint")
-    got = counted.groupBy("sure", "kind", "before", "behind").agg(F.sum("n").alias("n")).collect()
-    return fit([tuple(r) for r in sorted(got, key=lambda r: tuple(r)[:4])])
+def train(df: DataFrame, text_col: str = "text", most_keys: int = MOST_KEYS) -> SentenceModel:
+    """The model of a corpus, fitted on the counted contexts of all its documents.
+
+    Keys seen fewer than ``RARE`` times in the whole corpus, and those beyond about the ``most_keys`` commonest on a
+    side, are folded into their shape before the contexts reach the driver.
+    """
+    counted = map_arrow(df.select(F.col(text_col).alias("text")).where(F.length("text") > 0), _contexts, "sure int, kind string, before string, behind string, n bigint")
+    whole = staged(counted.groupBy("sure", "kind", "before", "behind").agg(F.sum("n").alias("n")), "contexts")
+    joined = whole
+    for side, rare in (("before", "rare_x"), ("behind", "rare_y")):
+        keys = staged(whole.groupBy(side).agg(F.sum("n").alias("of_key"), (F.max("sure") > 0).alias("begun")), side)
+        top = keys.orderBy(F.desc("of_key")).limit(most_keys + 1).agg(F.count(F.lit(1)).alias("k"), F.min("of_key").alias("n")).first()
+        least = max(RARE, top.n + 1) if top.k > most_keys else RARE
+        joined = joined.join(keys.select(side, (F.col("of_key") < least).alias(rare), *(["begun"] if side == "behind" else [])), side)
+    rows = joined.select("sure", "kind", "before", "behind", "n", "rare_x", "rare_y", "begun")
+    folded = map_arrow(rows, _folded, "sure int, kind string, before string, behind string, lower boolean, begun boolean, n bigint", spread=False)
+    got = folded.groupBy("sure", "kind", "before", "behind", "lower", "begun").agg(F.sum("n").alias("n")).collect()
+    return fit([tuple(r) for r in sorted(got, key=lambda r: tuple(r)[:6])])
 
 
 def split_sentences(df: DataFrame, model: SentenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -236,6 +236,13 @@ def test_garbled_words_that_the_corpus_repeats(spark):
     assert model.margin == encoding.MARGIN and not any("³" in g for g in model.counts)
 
 
+def test_sentence_model_counts_the_whole_corpus(spark):
+    word = F.when(F.col("id") % 400 < 30, F.concat(F.lit("abbr"), F.translate((F.col("id") % 400).cast("string"), "0123456789", "abcdefghij"))).otherwise("end")
+    d = spark.range(60_000).where("id % 400 >= 30 or id < 1600").select(F.col("id").alias("doc_id"), F.concat(F.lit("See "), word, F.lit(". more here.")).alias("text"))
+    model = sentences.train(d)
+    assert sum(k.startswith("abbr") for k in model.before) == 30  # four documents each
+
+
 def test_sentences(spark):
     text = "\\section{No. 3}\nThe first one ends here. See Dr. Abel etc. The last (it is). Why? “Stop!” said he. (A whole one.)\n% note. Not prose!\n\\begin{equation}\nx = 1. y\n\\end{equation}\n\\begin{itemize}\n  \\item One thing.\n  \\item Two\nlines.\n\\end{itemize}\n第一句。第二句！\n\nประโยคหนึ่ง ประโยคสอง\n"
     corpus = "/root/testdata/sf0.01/documents.parquet"
