@@ -236,6 +236,20 @@ def test_garbled_words_that_the_corpus_repeats(spark):
     assert model.margin == encoding.MARGIN and not any("³" in g for g in model.counts)
 
 
+def test_ngrams_of_long_words(spark):
+    long = "".join(chr(0x4E00 + i * 7 % 900) for i in range(1237))
+    given = {long: 2, "Größe": 3, "é": 1, "é" + "x" * 396: 5}
+    want = {}
+    for w, n in given.items():
+        s = "\x02" * 3 + w + "\x03"
+        for g in (s[i : i + k] for k in range(1, 5) for i in range(len(s) - k + 1)):
+            want[g] = want.get(g, 0) + n
+    got = encoding._ngrams(spark.createDataFrame(list(given.items()), "word string, n bigint")).collect()
+    assert {r.gram: r.n for r in got} == want
+    texts = spark.createDataFrame([(long,), ("Größe prüft",)], "text string")
+    assert long[600:604] in encoding.train(texts).counts
+
+
 def test_sentence_model_counts_the_whole_corpus(spark):
     word = F.when(F.col("id") % 400 < 30, F.concat(F.lit("abbr"), F.translate((F.col("id") % 400).cast("string"), "0123456789", "abcdefghij"))).otherwise("end")
     d = spark.range(60_000).where("id % 400 >= 30 or id < 1600").select(F.col("id").alias("doc_id"), F.concat(F.lit("See "), word, F.lit(". more here.")).alias("text"))
