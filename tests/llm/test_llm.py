@@ -236,6 +236,24 @@ def test_garbled_words_that_the_corpus_repeats(spark):
     assert model.margin == encoding.MARGIN and not any("³" in g for g in model.counts)
 
 
+def test_fragments_at_the_edges_of_windows(spark):
+    clean = ["Für schmale Seiten prüft die Größe", "L'épreuve réduit la théorie déjà élargie — « là »", "Шрифт второго издания меняет абзац с полем", "正文的章节数算了索引，公式的标题。"] * 300
+    bad = [t.encode().decode("latin-1") for t in clean[:4]] * 3
+    d = spark.createDataFrame(list(enumerate(clean + bad)), "labeled_id bigint, text string")
+    judge = encoding.Judge(encoding.train(d.select("text")))
+    window = lambda b: encoding.judge_bytes(judge, b)
+    cut = clean[2].encode()
+    # words cut to a letter or two are no case, wherever the window begins and ends, within a character too
+    assert not any(window(cut[a:b])[0] for a in range(0, 40) for b in range(a + 24, len(cut)))
+    assert not any(window(x[:k])[0] for x in (clean[0].encode(), clean[1].encode()) for k in range(4, len(x)))
+    # a wrongly read sequence of which the window shows a part
+    assert window("ludrim prÃ".encode())[0] and window("©duit la ludrim".encode())[0] and not window("réduit la".encode())[0]
+    # the last byte is a letter of a one-byte encoding, not the first of an ideograph
+    assert window("déjà thé".encode("utf-8")[:-2] + b"\xe9")[0] and not window("，公式的标".encode()[:-2])[0]
+    part = clean[3].encode("gbk").decode("latin-1")
+    assert window(part[1:].encode())[0] and judge.text("正文的" + part[6:])[1].endswith("算了索引，公式的标题。")
+
+
 def test_ngrams_of_long_words(spark):
     long = "".join(chr(0x4E00 + i * 7 % 900) for i in range(1237))
     given = {long: 2, "Größe": 3, "é": 1, "é" + "x" * 396: 5}
