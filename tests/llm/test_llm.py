@@ -161,6 +161,38 @@ def test_allocation_meets_quotas():
                 assert abs(sum(s * f[j] for f, (s, _) in zip(flow, bundles)) - x * total) <= max(s for s, _ in bundles)
 
 
+def test_flow_of_least_cost_against_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    shares = [0.7, 0.15, 0.15]
+
+    def cost(bundles, flow):
+        total = sum(s * k for s, k in bundles)
+        quota = sum(max(0.0, sum(s * f[j] for (s, _), f in zip(bundles, flow)) - total * x) for j, x in enumerate(shares))
+        return splits.QUOTA_COST * quota + splits.BUNDLE_COST * sum(s * max(0.0, f[j] - k * x) for (s, k), f in zip(bundles, flow) for j, x in enumerate(shares))
+
+    ways = lambda k: [(a, b, k - a - b) for a in range(k + 1) for b in range(k + 1 - a)]
+    for _ in range(60):
+        # bundles of one size are one flow, whose optimum is whole
+        size, numbers = int(rng.integers(1, 9)), rng.integers(1, 6, int(rng.integers(1, 4))).tolist()
+        same = [(size, k) for k in numbers]
+        least = min(cost(same, f) for f in itertools.product(*map(ways, numbers)))
+        assert cost(same, splits.allocate(same, shares)) <= least + 1e-6
+    worse = 0
+    for _ in range(60):
+        mixed = [(int(s), int(k)) for s, k in zip(rng.choice(np.arange(1, 40), 4, replace=False), rng.integers(1, 4, 4))]
+        least = min(cost(mixed, f) for f in itertools.product(*(ways(k) for _, k in mixed)))
+        got = cost(mixed, splits.allocate(mixed, shares))
+        worse += got > least + 1e-6
+        assert got <= 2 * least + 1e-6
+    assert worse <= 20
+    # only a swap gets the quotas right
+    flow = [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
+    bundles, room = [(7, 1), (5, 1), (4, 1)], [-2.0, 2.0, 0.0]
+    assert splits._exchange(bundles, shares, flow, room) and min(room) > -2
+
+
 def test_grouped_splits_cover_every_group(spark):
     d = spark.range(2000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 300).cast("string")).alias("k"), F.when(F.col("id") % 2 == 0, "train").otherwise("dev").alias("s"), (F.col("id") % 5 == 0).alias("p"))
     g = splits.group_profiles(d, F.col("k"), F.col("s"), F.col("p"))
