@@ -287,54 +287,79 @@ def _folded(batches):
 _FOLDED = pa.schema([("sure", pa.int32()), ("kind", pa.string()), ("before", pa.string()), ("behind", pa.string()), ("lower", pa.bool_()), ("begun", pa.bool_()), ("n", pa.int64())])
 
 
-def fit(contexts: list[tuple[int, str, str, str, bool, bool, int]]) -> SentenceModel:
-    """The chain's weights by expectation maximisation over folded contexts (sure, kind, before, behind, lower, begun, n).
+_SUMS = pa.schema([("side", pa.int32()), ("key", pa.string()), ("b", pa.float64()), ("i", pa.float64())])
+
+
+def _expected(shared):
+    """Partial sums by key of a pass: of the contexts' numbers, the parts that are boundaries and that are inside.
 
     Ends of blocks are sure boundaries. A mark before a lower-case word that begins no block, or before a digit
-    (``lower``), is taken to be inside at first; everything else is open. What stands before and what stands behind
-    are independent given the tag.
+    (``lower``), is taken to be inside at first and never more likely a boundary than not; everything else is open.
     """
-    rows = [(sure, kind, x, y, n, 1.0 if sure else 0.02 if lower else None) for sure, kind, x, y, lower, _, n in contexts]
-    # where nothing is known, a follower that begins some block speaks for a boundary, and so does any mark but a period
-    post = [p if p is not None else 0.9 if c[5] or c[1] not in (".", "quote") else 0.1 for c, (*_, p) in zip(contexts, rows)]
-    nk, nx, ny = {r[1] for r in rows}, {r[2] for r in rows}, {r[3] for r in rows}
-    model = SentenceModel({}, {}, {})
+
+    def run(batches):
+        weights = shared.value
+        model = weights and SentenceModel(*weights)
+        sums: dict[tuple[int, str], list[float]] = defaultdict(lambda: [0.0, 0.0])
+        for batch in batches:
+            for sure, kind, x, y, lower, begun, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if sure:
+                    p = 1.0
+                elif model:
+                    p = 1 / (1 + math.exp(-max(-30.0, min(30.0, model.weight(kind, x, y)))))
+                    p = min(p, 0.5) if lower else p
+                else:
+                    # where nothing is known, a follower that begins some block speaks for a boundary, and so does any mark but a period
+                    p = 0.02 if lower else 0.9 if begun or kind not in (".", "quote") else 0.1
+                b, i = n * p, n * (1 - p)
+                if not sure:  # how often a mark is a boundary within a block
+                    of = sums[0, kind]
+                    of[0] += b
+                    of[1] += i
+                b *= 1.0 if sure else OPEN
+                for key in ((1, x), (2, y)):
+                    of = sums[key]
+                    of[0] += b
+                    of[1] += i
+        if sums:
+            yield pa.RecordBatch.from_pydict({"side": [k[0] for k in sums], "key": [k[1] for k in sums], "b": [v[0] for v in sums.values()], "i": [v[1] for v in sums.values()]}, schema=_SUMS)
+
+    return run
+
+
+def fit(contexts: DataFrame) -> SentenceModel:
+    """The chain's weights by expectation maximisation over folded contexts (sure, kind, before, behind, lower, begun, n).
+
+    What stands before and what stands behind are independent given the tag. Every pass runs over the contexts where
+    they are; the driver gets two sums a key.
+    """
+    spark = contexts.sparkSession
+    weights: tuple[dict, dict, dict] | None = None
     for _ in range(PASSES):
-        kb, ki, xb, xi, yb, yi = (defaultdict(float) for _ in range(6))
-        for (sure, kind, x, y, n, _), p in zip(rows, post):
-            b, i = n * p, n * (1 - p)
-            if not sure:  # how often a mark is a boundary within a block
-                kb[kind] += b
-                ki[kind] += i
-            b *= 1.0 if sure else OPEN
-            xb[x] += b
-            xi[x] += i
-            yb[y] += b
-            yi[y] += i
-        tx, ty = [sum(d.values()) for d in (xb, xi)], [sum(d.values()) for d in (yb, yi)]
-        ratio = lambda b, i, t, v: math.log((b + 0.3) / (t[0] + 0.3 * v)) - math.log((i + 0.3) / (t[1] + 0.3 * v))
-        model = SentenceModel(
-            {k: math.log((kb[k] + 0.5) / (ki[k] + 0.5)) for k in nk},
-            {k: ratio(xb[k], xi[k], tx, len(nx)) for k in nx},
-            {k: ratio(yb[k], yi[k], ty, len(ny)) for k in ny},
-        )
-        for j, (sure, kind, x, y, n, p) in enumerate(rows):
-            if not sure:
-                w = model.weight(kind, x, y)
-                post[j] = 1 / (1 + math.exp(-max(-30.0, min(30.0, w))))
-                if p is not None:
-                    post[j] = min(post[j], 0.5)
+        sums = map_arrow(contexts, _expected(spark.sparkContext.broadcast(weights)), "side int, key string, b double, i double", spread=False)
+        sides: list[dict[str, tuple[float, float]]] = [{}, {}, {}]
+        for r in sums.groupBy("side", "key").agg(F.sum("b").alias("b"), F.sum("i").alias("i")).collect():
+            sides[r.side][r.key] = (r.b, r.i)
+        kinds = {k: math.log((b + 0.5) / (i + 0.5)) for k, (b, i) in sides[0].items()}
+        weights = (kinds, *(_ratios(s) for s in sides[1:]))
+    model = SentenceModel(*weights)
     for s in ("<0>", "<\\>", "<.>", "<cjk>", "<A>", "<AA>", "<Aa>", "<a>", "<x>"):
         model.before.setdefault(s, 0.0)
         model.behind.setdefault(s, -3.0 if s == "<a>" else 0.0)
     return model
 
 
+def _ratios(sums: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """Log of how much likelier each key is beside a boundary than elsewhere."""
+    b, i, v = sum(x for x, _ in sums.values()), sum(x for _, x in sums.values()), 0.3 * len(sums)
+    return {k: math.log((x + 0.3) / (b + v)) - math.log((y + 0.3) / (i + v)) for k, (x, y) in sums.items()}
+
+
 def train(df: DataFrame, text_col: str = "text", most_keys: int = MOST_KEYS) -> SentenceModel:
     """The model of a corpus, fitted on the counted contexts of all its documents.
 
     Keys seen fewer than ``RARE`` times in the whole corpus, and those beyond about the ``most_keys`` commonest on a
-    side, are folded into their shape before the contexts reach the driver.
+    side, are folded into their shape. The contexts stay distributed; the driver holds the weights of the keys only.
     """
     counted = map_arrow(df.select(F.col(text_col).alias("text")).where(F.length("text") > 0), _contexts, "sure int, kind string, before string, behind string, n bigint")
     whole = staged(counted.groupBy("sure", "kind", "before", "behind").agg(F.sum("n").alias("n")), "contexts")
@@ -346,8 +371,7 @@ def train(df: DataFrame, text_col: str = "text", most_keys: int = MOST_KEYS) ->
         joined = joined.join(keys.select(side, (F.col("of_key") < least).alias(rare), *(["begun"] if side == "behind" else [])), side)
     rows = joined.select("sure", "kind", "before", "behind", "n", "rare_x", "rare_y", "begun")
     folded = map_arrow(rows, _folded, "sure int, kind string, before string, behind string, lower boolean, begun boolean, n bigint", spread=False)
-    got = folded.groupBy("sure", "kind", "before", "behind", "lower", "begun").agg(F.sum("n").alias("n")).collect()
-    return fit([tuple(r) for r in sorted(got, key=lambda r: tuple(r)[:6])])
+    return fit(staged(folded.groupBy("sure", "kind", "before", "behind", "lower", "begun").agg(F.sum("n").alias("n")), "folded"))
 
 
 def split_sentences(df: DataFrame, model: SentenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
