@@ -7,12 +7,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.plans import relations
+from proofmill.plans import document_queries, relations
 from proofmill.plans.corpus import CORPUS, corpus
 from proofmill.plans.registry import all_rules, findings, sql_findings
 
-QUERIES: dict = {**relations.QUERIES}
-ORACLES: dict[str, str] = {**relations.ORACLES}
+QUERIES: dict = {**relations.QUERIES, **document_queries.QUERIES}
+ORACLES: dict[str, str] = {**relations.ORACLES, **document_queries.ORACLES}
 
 
 def _family(spark: SparkSession, d: str, family: str) -> DataFrame:

@@ -11,6 +11,9 @@ from proofmill.plans.corpus import CORPUS, corpus
 from proofmill.plans.registry import findings, sql_findings
 from proofmill.sources.tables import table
 
+#: ``functions.paths.file_name`` of a column named file, in SQL.
+_FOLD_NAME = r"(CASE WHEN replace(file, '\', '/') LIKE '/%' THEN '/' ELSE '' END) || array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(list_filter(string_split(regexp_replace(replace(file, '\', '/'), '@[0-9]+-[0-9]+$', ''), '/'), lambda x: x <> '' AND x <> '.'), lambda x: [x])), lambda a, b: CASE WHEN b[1] = '..' AND len(a) > 0 AND a[-1] <> '..' THEN a[:-2] WHEN b[1] = '..' AND replace(file, '\', '/') LIKE '/%' THEN a ELSE list_concat(a, b) END), '/')"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 

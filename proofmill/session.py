@@ -89,6 +89,8 @@ def ship(spark: SparkSession) -> None:
 
 def spread(scan: DataFrame) -> DataFrame:
     """A plain scan, over at least as many partitions as there are cores; a large one already has them."""
+    if scan.isStreaming:
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 

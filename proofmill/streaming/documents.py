@@ -39,9 +39,6 @@ def new_chunks(docs: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def _changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     old = list(state.get[0]) if state.exists else None
     rows = []
     for b in batches:
@@ -52,18 +49,17 @@ def _changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             old = hashes
     if old is not None:
         state.update((old,))
-        state.setTimeoutDuration(7 * 24 * 3600 * 1000)
     yield pd.DataFrame(rows, columns=["doc_id", "version", "chunk_no"])
 
 
 def dirty_chunks_of_edits(edits: DataFrame) -> DataFrame:
     """(doc_id, version, chunk_no): chunks to be looked at again after each version in a stream (doc_id, version, text).
 
-    The state holds the hashes of a document's last version for a week without edits. Where the numbers of chunks
+    The state holds the hashes of every document's last version. Where the numbers of chunks
     differ all are dirty, as in ``operators.findings.dirty_chunks``. Within a micro-batch versions come in order.
     """
     h = edits.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("version").cast("bigint").alias("version"), F.transform(F.split("text", "\n\n"), lambda c: F.xxhash64(c)).alias("hashes"))
-    return h.groupBy("doc_id").applyInPandasWithState(_changed, "doc_id bigint, version bigint, chunk_no int", "hashes array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return h.groupBy("doc_id").applyInPandasWithState(_changed, "doc_id bigint, version bigint, chunk_no int", "hashes array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_findings(docs: DataFrame, path: str, checkpoint: str, rules: list[Rule] | None = None) -> StreamingQuery:
