@@ -47,6 +47,32 @@ def shared_labels(docs: DataFrame) -> DataFrame:
     return label_events(docs).where("kind = 'label'").groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs")).where("n_docs > 1")
 
 
+#: Prefixes that tell what a label is of. Fixed values.
+PREFIXES = ("fig:", "tab:", "eq:", "sec:", "ch:", "app:", "lst:", "thm:", "lem:", "def:", "prop:", "cor:", "rem:", "ex:", "alg:")
+
+
+def label_rules(docs: DataFrame) -> DataFrame:
+    """(doc_id, rule_id, n): the rules on labels and references, from one row a key of a document.
+
+    Undefined keys (REF-001), repeated definitions (REF-002), blanks, capitals and missing prefixes of labels (REF-003 to
+    REF-005), references before the last definition (REF-009), equations and figures never referred to (MATH-024,
+    FIG-012) and equations referred to without a label (MATH-023).
+    """
+    k = F.col("key")
+    per = label_events(docs).groupBy("doc_id", "key").agg(F.count_if(F.col("kind") == "label").alias("n_labels"), F.count_if(F.col("kind") == "ref").alias("n_refs"), F.max(F.when(F.col("kind") == "label", F.col("pos"))).alias("label_pos"), F.min(F.when(F.col("kind") == "ref", F.col("pos"))).alias("ref_pos"))
+    set_, used = F.col("n_labels") > 0, F.col("n_refs") > 0
+    prefixed = F.regexp_like(k, F.lit("^(" + "|".join(PREFIXES) + ")"))
+    # fixed values: which figure of a key each rule counts
+    rules = {
+        "REF-001": used & ~set_, "REF-003": set_ & F.contains(k, F.lit(" ")), "REF-004": set_ & F.regexp_like(k, F.lit("[A-Z]")), "REF-005": set_ & ~prefixed, "REF-009": set_ & used & (F.col("ref_pos") < F.col("label_pos")),
+        "MATH-023": used & ~set_ & k.startswith("eq:"), "MATH-024": set_ & ~used & k.startswith("eq:"), "FIG-012": set_ & ~used & k.startswith("fig:"),
+    }
+    sums = [F.count_if(F.coalesce(c, F.lit(False))).alias(r) for r, c in rules.items()]
+    doc = per.groupBy("doc_id").agg(*sums, F.sum(F.greatest(F.col("n_labels") - 1, F.lit(0))).alias("REF-002"))
+    hits = F.array(*(F.struct(F.lit(r).alias("rule_id"), F.col(f"`{r}`").cast("bigint").alias("n")) for r in (*rules, "REF-002")))
+    return doc.select("doc_id", F.explode(F.filter(hits, lambda h: h.n > 0)).alias("h")).select("doc_id", "h.rule_id", "h.n")
+
+
 def headings(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, level, title, number, skip): headings with their number below the parent and whether a level is skipped."""
     names = "|".join(LEVELS)

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.plans import rules_doc, rules_math, rules_text
+from proofmill.plans import rules_doc, rules_math, rules_setup, rules_text
 from proofmill.session import spread
 
 MATH_ENVIRONMENTS = ("equation", "align", "gather", "multline", "eqnarray", "displaymath", "math", "flalign", "alignat")
@@ -17,6 +17,8 @@ _ENVS = "|".join(MATH_ENVIRONMENTS)
 COMMENT = "(^|[^\\\\])%[^\\n]*"
 VERBATIM = "(?s)\\\\begin\\{(verbatim|lstlisting|minted)\\*?\\}.*?\\\\end\\{(verbatim|lstlisting|minted)\\*?\\}|\\\\verb[|][^|\\n]*[|]|\\\\verb[+][^+\\n]*[+]|\\\\verb![^!\\n]*!"
 MATH = f"(?s)\\\\begin\\{{({_ENVS})\\*?\\}}.*?\\\\end\\{{({_ENVS})\\*?\\}}|\\$\\$[^$]*\\$\\$|\\$[^$\\n]*\\$|\\\\\\(.*?\\\\\\)|\\\\\\[.*?\\\\\\]"
+#: Begin and end of a block itself, which are no part of its body.
+BEGIN_END = r"^\\begin\{[^}]*\}|\\end\{[^}]*\}$"
 SCOPES = ("raw", "nocomment", "nomath", "prose", "math", "preamble", "body")
 SEVERITY_RANK = {"Error": 2, "Warning": 1, "Info": 0}
 
@@ -37,7 +39,7 @@ class Rule(NamedTuple):
 
 def all_rules() -> list[Rule]:
     """Every rule of the registry, by id."""
-    return sorted(Rule(*r) for m in (rules_text, rules_math, rules_doc) for r in m.RULES)
+    return sorted(Rule(*r) for m in (rules_text, rules_math, rules_doc, rules_setup) for r in m.RULES)
 
 
 def scopes(text: Column) -> dict[str, Column]:
@@ -117,6 +119,11 @@ def required_literal(pattern: str) -> str:
     return best
 
 
+def block_pattern(names: tuple[str, ...]) -> str:
+    """The blocks of environments, each up to the first end of its name."""
+    return "(?s)" + "|".join(f"\\\\begin\\{{{n}\\}}.*?\\\\end\\{{{n}\\}}" for n in names)
+
+
 def detector(rule: Rule) -> Column:
     """How often a rule finds something in a row that holds the scope columns."""
     c = F.col(f"s_{rule.scope}")
@@ -127,29 +134,56 @@ def detector(rule: Rule) -> Column:
     elif rule.kind == "needle":
         mark, k = rule.pattern
         n = F.regexp_count(c, F.lit(f"(?={re.escape(mark) if mark != chr(10) else chr(92) + 'n'}{{{k}}})"))
-    elif rule.kind == "all":
-        ok = F.lit(True)
-        for p in rule.pattern:
-            ok = ok & F.regexp_like(c, F.lit(p))
-        n = ok.cast("int")
+    elif rule.kind in ("all", "but"):
+        with_, without = rule.pattern if rule.kind == "but" else (rule.pattern, [])
+        n = _holds(c, with_, without).cast("int")
+    elif rule.kind in ("block", "in_block"):
+        names = rule.pattern[0]
+        blocks = F.regexp_extract_all(c, F.lit(block_pattern(names)), F.lit(0))
+        body = lambda b: F.regexp_replace(b, BEGIN_END, "")
+        if rule.kind == "block":
+            n = F.size(F.filter(blocks, lambda b: _holds(body(b), *rule.pattern[1:])))
+        else:
+            n = F.aggregate(F.transform(blocks, lambda b: F.regexp_count(body(b), F.lit(rule.pattern[1]))), F.lit(0), lambda a, k: a + k)
+        n = F.when(F.contains(c, F.lit("\\end{")), n).otherwise(0)
     else:
         n = F.size(F.filter(F.split(c, "\n"), lambda line: F.octet_length(line) > rule.pattern))
     n = n.cast("bigint")
     return F.when(F.col("lang2").isin(*rule.languages), n).otherwise(F.lit(0).cast("bigint")) if rule.languages else n
 
 
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_holds(c: str, with_: list, without: list[str]) -> str:
+    """As ``_holds``, as a DuckDB expression."""
+    return "(" + " AND ".join(["TRUE", *(f"regexp_matches({c}, {quoted(p)})" if isinstance(p, str) else f"len(regexp_extract_all({c}, {quoted(p[0])})) >= {p[1]}" for p in with_), *(f"NOT regexp_matches({c}, {quoted(p)})" for p in without)]) + ")"
+
+
+def _holds(c: Column, with_: list, without: list[str]) -> Column:
+    ok = F.lit(True)
+    for p in with_:
+        ok = ok & (F.regexp_like(c, F.lit(p)) if isinstance(p, str) else F.regexp_count(c, F.lit(p[0])) >= p[1])
+    for p in without:
+        ok = ok & ~F.regexp_like(c, F.lit(p))
+    return ok
+
+
 def sql_detector(rule: Rule) -> str:
     """As ``detector``, as a DuckDB expression; overlapping occurrences are counted by the lengths of runs."""
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    c = f"s_{rule.scope}"
+    q, c = quoted, f"s_{rule.scope}"
     if rule.kind == "re":
         n = f"len(regexp_extract_all({c}, {q(rule.pattern)}))"
     elif rule.kind == "needle":
         mark, k = rule.pattern
         m = "\\n" if mark == "\n" else re.escape(mark)
         n = f"coalesce(list_sum(list_transform(regexp_extract_all({c}, {q(f'{m}{{{k},}}')}), lambda x: length(x) - {k - 1})), 0)"
-    elif rule.kind == "all":
-        n = "CAST(" + " AND ".join(f"regexp_matches({c}, {q(p)})" for p in rule.pattern) + " AS INT)"
+    elif rule.kind in ("all", "but"):
+        n = f"CAST({sql_holds(c, *(rule.pattern if rule.kind == 'but' else (rule.pattern, [])))} AS INT)"
+    elif rule.kind in ("block", "in_block"):
+        bodies = f"list_transform(regexp_extract_all({c}, {q(block_pattern(rule.pattern[0]))}), lambda b: regexp_replace(b, {q(BEGIN_END)}, '', 'g'))"
+        n = f"len(list_filter({bodies}, lambda b: {sql_holds('b', *rule.pattern[1:])}))" if rule.kind == "block" else f"coalesce(list_sum(list_transform({bodies}, lambda b: len(regexp_extract_all(b, {q(rule.pattern[1])})))), 0)"
     else:
         n = f"len(list_filter(string_split({c}, chr(10)), lambda x: strlen(x) > {rule.pattern}))"
     n = f"CAST({n} AS BIGINT)"

@@ -35,6 +35,13 @@ _add("duplicate_labels", lambda s, d: st.duplicate_labels(corpus(s, d)), f"WITH
 _add("forward_refs", lambda s, d: st.forward_references(corpus(s, d)), f"WITH {_LABELS}, l AS (SELECT doc_id, k, max(pos) AS p FROM ev WHERE kind = 'label' GROUP BY ALL) SELECT DISTINCT ev.doc_id, ev.k AS key FROM ev JOIN l USING (doc_id, k) WHERE kind = 'ref' AND pos < p")
 _add("shared_labels", lambda s, d: st.shared_labels(corpus(s, d)), f"WITH {_LABELS} SELECT k AS key, count(DISTINCT doc_id) AS n_docs FROM ev WHERE kind = 'label' GROUP BY k HAVING count(DISTINCT doc_id) > 1")
 
+_PER = f"WITH {_LABELS}, per AS (SELECT doc_id, k, count(*) FILTER (kind = 'label') AS nl, count(*) FILTER (kind = 'ref') AS nr, max(CASE WHEN kind = 'label' THEN pos END) AS lp, min(CASE WHEN kind = 'ref' THEN pos END) AS rp FROM ev GROUP BY ALL)"
+_LABEL_RULES = {
+    "REF-001": "(nr > 0 AND nl = 0)::INT", "REF-002": "greatest(nl - 1, 0)", "REF-003": "(nl > 0 AND contains(k, ' '))::INT", "REF-004": "(nl > 0 AND regexp_matches(k, '[A-Z]'))::INT", "REF-005": "(nl > 0 AND NOT regexp_matches(k, '^(" + "|".join(st.PREFIXES) + ")'))::INT", "REF-009": "coalesce(nl > 0 AND rp < lp, FALSE)::INT",
+    "MATH-023": "(nr > 0 AND nl = 0 AND starts_with(k, 'eq:'))::INT", "MATH-024": "(nl > 0 AND nr = 0 AND starts_with(k, 'eq:'))::INT", "FIG-012": "(nl > 0 AND nr = 0 AND starts_with(k, 'fig:'))::INT",
+}
+_add("label_rules", lambda s, d: st.label_rules(corpus(s, d)), _PER + ", u AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule_id, {c} AS n FROM per" for r, c in _LABEL_RULES.items()) + ") SELECT doc_id, rule_id, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY ALL HAVING sum(n) > 0")
+
 _BE = _ev(r"\\(?:begin|end)\{[^}]*\}")
 _add(
     "environment_depth",
@@ -85,7 +92,7 @@ _add(
 _FIND = f"({sql_findings(None, CORPUS)})"
 _RANK = "CASE {c} WHEN 'Error' THEN 2 WHEN 'Warning' THEN 1 ELSE 0 END"
 _RESOLVED = (
-    f"f AS MATERIALIZED {_FIND}, p(a, b) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fo.CONFLICTS) + "), m AS (SELECT x.doc_id, p.a, p.b, " + _RANK.format(c="x.severity") + " AS ra, " + _RANK.format(c="y.severity") + " AS rb, x.n AS na, y.n AS nb FROM p JOIN f x ON x.rule_id = p.a JOIN f y ON y.rule_id = p.b AND y.doc_id = x.doc_id), "
+    f"f AS MATERIALIZED {_FIND}, p(a, b) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fo.CONFLICTS) + "), g AS MATERIALIZED (SELECT * FROM f WHERE rule_id IN (SELECT a FROM p UNION SELECT b FROM p)), m AS (SELECT x.doc_id, p.a, p.b, " + _RANK.format(c="x.severity") + " AS ra, " + _RANK.format(c="y.severity") + " AS rb, x.n AS na, y.n AS nb FROM g x JOIN g y ON y.doc_id = x.doc_id JOIN p ON x.rule_id = p.a AND y.rule_id = p.b), "
     "lost AS (SELECT DISTINCT doc_id, CASE WHEN ra > rb OR ra = rb AND (na < nb OR na = nb AND a < b) THEN b ELSE a END AS rule_id FROM m), res AS (SELECT f.* FROM f ANTI JOIN lost ON f.doc_id = lost.doc_id AND f.rule_id = lost.rule_id)"
 )
 _CONF = "CASE WHEN split_part(rule_id, '-', 1) IN ('TYPO', 'ENC', 'CHAR', 'SPC', 'STRUCT', 'SYS') THEN 'High' WHEN split_part(rule_id, '-', 1) IN ('STYLE', 'LANG') THEN 'Low' ELSE 'Medium' END"

@@ -47,6 +47,37 @@ def test_rule_counts(spark):
     assert "CHAR-014" not in got
 
 
+def test_label_rules(spark):
+    d = docs(spark, r"\ref{eq:x}\label{Fig A}\label{fig:b}\label{fig:b}\ref{eq:y}\label{eq:y}\label{eq:z}", "no", None)
+    got = {r.rule_id: r.n for r in st.label_rules(d).collect()}
+    assert got == {"REF-001": 1, "REF-002": 1, "REF-003": 1, "REF-004": 1, "REF-005": 1, "REF-009": 1, "MATH-023": 1, "MATH-024": 1, "FIG-012": 1}
+
+
+SETUPS = {
+    "PKG-002": ("\\usepackage{hyperref}\\usepackage[a]{b,geometry}\\begin{document}", "\\usepackage{geometry}\\usepackage{hyperref}\\begin{document}"),
+    "PKG-011": ("\\usepackage{x}\\toprule", "\\usepackage{a, booktabs}\\toprule"), "DOC-002": ("\\documentclass[a]{article}", "\\documentclass{slides}"), "LANG-005": ("\\hyphenpenalty = 49 ", "\\hyphenpenalty=500"),
+    "FIG-001": ("\\begin{figure*}x\\end{figure*}\\begin{figure}\\caption{a}\\end{figure}", "\\begin{figure}\\caption{a}\\end{figure}"), "FIG-003": ("\\begin{figure}\\centering\\label{a}\\caption{b}\\end{figure}", "\\begin{figure}\\caption{b}\\label{a}\\end{figure}"),
+    "FIG-007": ("\\begin{figure}\\includegraphics[scale=0.5]{a}\\includegraphics[alt={t}]{b}\\end{figure}", "\\begin{figure}\\includegraphics[width=a,alt={t}]{b}\\end{figure}"), "TAB-002": ("\\begin{table}\\begin{tabular}{l}a\\end{tabular}\\caption{b}\\end{table}", "\\begin{table}\\caption{b}\\begin{tabular}{l}a\\end{tabular}\\end{table}"),
+    "TAB-008": ("\\begin{tabular}" + "a\\\\" * 30 + "\\end{tabular}", "\\begin{tabular}" + "a\\\\" * 29 + "\\end{tabular}"), "TAB-011": ("\\begin{tabular}\\hline\\end{tabular}", "\\begin{tabular}\\hline\\toprule\\end{tabular}"), "MATH-062": ("\\begin{align}x\\end{align}", "\\begin{align}x&y\\end{align}"),
+    "VERB-002": ("\\begin{verbatim}\ta\\end{verbatim}", "\ta\\begin{verbatim}a\\end{verbatim}"), "VERB-007": ("\\begin{minted}\\begin{verbatim}\\end{minted}", "\\begin{minted}a\\end{minted}"), "TIKZ-005": ("\\begin{tikzpicture}", "\\begin{tikzpicture}\\tikzexternalize"), "L3-005": ("\\tl_new:N", "\\ExplSyntaxOn\\tl_new:N"), "META-003": ("\\date{\\today}", "\\date{2020}"),
+}
+
+
+def test_setup_rules(spark):
+    import duckdb
+
+    from proofmill.plans.registry import sql_findings
+
+    rows = [(2 * i + k, t) for i, pair in enumerate(SETUPS.values()) for k, t in enumerate(pair)]
+    got = {(r.doc_id, r.rule_id): r.n for r in findings(spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id bigint, text string, lang string")).collect()}
+    for i, rule in enumerate(SETUPS):
+        assert got.get((2 * i, rule)) == 1 and (2 * i + 1, rule) not in got, rule
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, NULL)", rows)
+    assert {(a, b): n for a, b, _, n in con.execute(sql_findings()).fetchall()} == got
+
+
 def test_rule_ids_are_unique_and_literals_needed(spark):
     import re
 
