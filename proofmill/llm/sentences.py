@@ -112,7 +112,9 @@ def _shape(key: str) -> str:
 
 def before_key(part: str, at: int) -> str:
     """What stands before position ``at``: the last word, or the character."""
-    m = _BEFORE.search(part, max(0, at - 24), at)
+    low = max(0, at - 24)
+    low = max(low, part.rfind(" ", low, at) + 1, part.rfind("\n", low, at) + 1)  # no word holds a blank
+    m = _BEFORE.search(part, low, at)
     if not m:
         return part[at - 1] if at else "^"
     w = m.group()
