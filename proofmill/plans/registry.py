@@ -145,7 +145,10 @@ def detector(rule: Rule) -> Column:
             n = F.size(F.filter(blocks, lambda b: _holds(body(b), *rule.pattern[1:])))
         else:
             n = F.aggregate(F.transform(blocks, lambda b: F.regexp_count(body(b), F.lit(rule.pattern[1]))), F.lit(0), lambda a, k: a + k)
-        n = F.when(F.contains(c, F.lit("\\end{")), n).otherwise(0)
+        begun = F.lit(False)
+        for name in dict.fromkeys(x.removesuffix("\\*") for x in names):
+            begun = begun | F.contains(c, F.lit("\\begin{" + name))
+        n = F.when(begun, n).otherwise(0)
     else:
         n = F.size(F.filter(F.split(c, "\n"), lambda line: F.octet_length(line) > rule.pattern))
     n = n.cast("bigint")
@@ -163,6 +166,8 @@ def sql_holds(c: str, with_: list, without: list[str]) -> str:
 
 def _holds(c: Column, with_: list, without: list[str]) -> Column:
     ok = F.lit(True)
+    for literal in dict.fromkeys(x for p in with_ if isinstance(p, str) and (x := required_literal(p))):
+        ok = ok & F.contains(c, F.lit(literal))  # a plain search spares most texts the patterns
     for p in with_:
         ok = ok & (F.regexp_like(c, F.lit(p)) if isinstance(p, str) else F.regexp_count(c, F.lit(p[0])) >= p[1])
     for p in without:
