@@ -285,10 +285,21 @@ def paragraphs_at(docs: DataFrame) -> DataFrame:
     return _mapped(docs, rows, [("pos", _INT, "int"), ("start", _INT, "int"), ("end", _INT, "int")])
 
 
+def _nearest(docs: DataFrame, points: DataFrame) -> DataFrame:
+    """Errors (doc_id, error, at) with the last point (point, ...) at or before them and the first one behind; one sort a document."""
+    what = F.struct("point", *[c for c in points.columns if c not in ("doc_id", "point")])
+    p = points.select("doc_id", F.col("point").alias("o"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("error"), what.alias("p"))
+    e = parse_errors(docs).select("doc_id", F.col("at").alias("o"), F.lit(1).alias("k"), "error", F.lit(None).cast(p.schema["p"].dataType).alias("p"))
+    w = Window.partitionBy("doc_id").orderBy("o", "k")
+    both = p.union(e).select("*", F.last("p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("before"), F.first("p", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("behind"))
+    return both.where("k = 1").select("doc_id", "error", F.col("o").alias("at"), "before", "behind")
+
+
 def trust_zones(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, zone): broken paragraphs hold an error, partial ones lie beside one, the rest are complete."""
-    p, e = paragraphs_at(docs), parse_errors(docs)
-    hit = p.join(e, "doc_id", "left").groupBy("doc_id", "pos").agg(F.coalesce(F.bool_or((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))), F.lit(False)).alias("bad"))
+    p = paragraphs_at(docs)
+    held = _nearest(docs, p.select("doc_id", F.col("start").alias("point"), "pos", "end")).where("at < before.end").select("doc_id", "before.pos").distinct().withColumn("bad", F.lit(True))
+    hit = p.join(held, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("bad", F.lit(False)).alias("bad"))
     w = Window.partitionBy("doc_id").orderBy("pos")
     beside = F.coalesce(F.lag("bad").over(w), F.lit(False)) | F.coalesce(F.lead("bad").over(w), F.lit(False))
     return hit.withColumn("beside", beside).select("doc_id", "pos", F.when(F.col("bad"), "broken").when(F.col("beside"), "partial").otherwise("complete").alias("zone"))
@@ -297,24 +308,30 @@ def trust_zones(docs: DataFrame) -> DataFrame:
 def recovery_points(docs: DataFrame) -> DataFrame:
     """(doc_id, error, at, point, kind): for every error the nearest place to resume at, the earlier one at a tie.
 
-    Places are the ends of paragraphs, the starts of sections and the ends of environments.
+    Places are the ends of paragraphs, the starts of sections and the ends of environments; a document has at least
+    the end of its last paragraph.
     """
-    e = parse_errors(docs)
     n = nodes(docs).where("kind = 'command' and name in ('section', 'subsection', 'chapter', 'end')").select("doc_id", F.when(F.col("name") == "end", F.col("end")).otherwise(F.col("start")).alias("point"), F.when(F.col("name") == "end", "environment").otherwise("section").alias("kind"))
-    points = n.union(paragraphs_at(docs).select("doc_id", F.col("end"), F.lit("paragraph")))
-    near = e.join(points, "doc_id").groupBy("doc_id", "error", "at").agg(F.min(F.struct(F.abs(F.col("point") - F.col("at")).alias("d"), "point", "kind")).alias("m"))
-    return near.select("doc_id", "error", "at", "m.point", "m.kind")
+    points = n.union(paragraphs_at(docs).select("doc_id", F.col("end"), F.lit("paragraph"))).groupBy("doc_id", "point").agg(F.min("kind").alias("kind"))
+    near = F.when(F.col("behind").isNull() | (F.col("at") - F.col("before.point") <= F.col("behind.point") - F.col("at")), F.col("before")).otherwise(F.col("behind"))
+    return _nearest(docs, points).withColumn("m", near).select("doc_id", "error", "at", "m.point", "m.kind")
+
+
+_KEY = re.compile(r"\{([^{}]*)\}")
 
 
 def labels_by_environment(docs: DataFrame) -> DataFrame:
     """(doc_id, key, at, environment): labels with the innermost environment around them, or null."""
-    t = docs.where("text is not null").select("doc_id", "text")
-    n = nodes(docs)
-    lab = n.where("kind = 'command' and name = 'label'").select("doc_id", F.col("end").alias("at"))
-    lab = lab.join(t, "doc_id").select("doc_id", "at", F.regexp_extract(F.substr("text", F.col("at") + 1, F.lit(400)), r"^\{([^{}]*)\}", 1).alias("key")).where("key <> ''")
-    env = n.where("kind = 'environment'").select("doc_id", F.col("name").alias("environment"), "start", "end")
-    inner = lab.join(env, (lab.doc_id == env.doc_id) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")), "left").select(lab.doc_id, "key", "at", "environment", "start")
-    return inner.groupBy("doc_id", "key", "at").agg(F.max_by("environment", "start").alias("environment"))
+
+    def rows(text: str):
+        every = parse(text).rows
+        for parent, kind, name, _, end, _ in every:
+            if kind == "command" and name == "label" and (m := _KEY.match(text, end)) and m.group(1):
+                while parent >= 0 and every[parent][1] != "environment":
+                    parent = every[parent][0]
+                yield m.group(1), end, every[parent][2] if parent >= 0 else None
+
+    return _mapped(docs, rows, [("key", _STR, "string"), ("at", _INT, "int"), ("environment", _STR, "string")])
 
 
 def in_ranges(position: Column, ranges: Column) -> Column:
