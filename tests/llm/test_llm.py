@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from proofmill import session
 from proofmill.llm import encoding, frequency, leakage, neardup, overlap, packing, pieces, queries, sentences, splits
 from proofmill.llm.words import words
 
@@ -76,6 +77,22 @@ def test_overlaps_that_chunks_do_not_meet(spark):
     assert got == want and len(want) >= len(held)
 
 
+def test_overlaps_need_little_disk(spark, tmp_path):
+    d = frame(spark, [*made(3000, 21, 150), "w1 " * 40], ["train", "dev", "train", "test"])
+    d.select("labeled_id", "text", "split_name").write.parquet(f"{tmp_path}/in")
+    size = lambda top: sum(os.path.getsize(os.path.join(a, f)) for a, _, names in os.walk(top) for f in names if f.endswith(".parquet"))
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite() + size(session.shared_dir(spark).removeprefix("file:"))
+
+    before, d = written(), spark.read.parquet(f"{tmp_path}/in")
+    assert overlap.cross_split_overlaps(d, "labeled_id", "text", "split_name").count() == 0
+    assert written() - before < 6 * size(tmp_path)
+    assert overlap.cross_split_overlaps(d.limit(0), "labeled_id", "text", "split_name").count() == 0
+
+
 def test_leaks_against_brute_force(spark):
     docs, items = made(30, 3, 120), made(8, 4, 40)
     docs += [docs[0] + " " + items[0].upper() + " x", " ".join(items[1].split()[5:19]), " ".join(items[1].split()[5:16]), None, "", items[2] * 2]
