@@ -17,6 +17,8 @@ VERBATIM_ENVS = frozenset("verbatim Verbatim lstlisting minted alltt comment fil
 ADDRESS = frozenset(("url", "nolinkurl", "path", "href"))
 #: Depth beyond which groups and environments are no longer opened.
 MOST_DEPTH = 500
+#: Characters of documents whose rows a worker gathers before it hands them on.
+MOST_CHARS = 250_000
 
 _NAME = re.compile(r"\\([A-Za-z@]+)\*?")
 _ENV = re.compile(r"\\(begin|end)[ \t]*\{([^{}\n]*)\}")
@@ -91,12 +93,13 @@ def blanked(text: str, ranges: list[tuple[str, int, int]]) -> str:
 _MATH = re.compile(r"\\\\|\\\(|\\\)|\\\[|\\\]|\\[$%]|\$\$|\$|\\(?:begin|end)\{([A-Za-z]+)\*?\}")
 
 
-def math_regions(text: str) -> list[tuple[str, int, int]]:
+def math_regions(text: str, literal: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
     """(inline or display, start, end) of mathematics outside literal regions; nested openers belong to the outermost.
 
-    An opener without its closer is none; inline mathematics doesn't cross a blank line.
+    An opener without its closer is none; inline mathematics doesn't cross a blank line. ``literal``: the text's
+    literal regions, where they are known.
     """
-    plain = blanked(text, literal_regions(text))
+    plain = blanked(text, literal_regions(text) if literal is None else literal)
     out, at = [], 0
     while m := _MATH.search(plain, at):
         a, opener, at = m.start(), m.group(), m.end()
@@ -121,7 +124,8 @@ def math_regions(text: str) -> list[tuple[str, int, int]]:
 
 
 def all_regions(text: str) -> list[tuple[str, int, int]]:
-    return sorted(literal_regions(text) + math_regions(text), key=lambda r: r[1:])
+    literal = literal_regions(text)
+    return sorted(literal + math_regions(text, literal), key=lambda r: r[1:])
 
 
 class _Nodes:
@@ -211,19 +215,27 @@ def parse(text: str) -> _Nodes:
 
 
 def _mapped(docs: DataFrame, rows_of: Callable[[str], Iterator[tuple]], columns: list[tuple[str, pa.DataType, str]]) -> DataFrame:
-    """One row of ``columns`` a tuple that ``rows_of`` makes of a text, with its doc_id."""
+    """One row of ``columns`` a tuple that ``rows_of`` makes of a text, with its doc_id; a worker holds those of ``MOST_CHARS`` at once."""
     names = [c for c, _, _ in columns]
     schema = pa.schema([("doc_id", pa.int64()), *((c, t) for c, t, _ in columns)])
 
     def run(batches):
         for b in batches:
-            ids, out = [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids, out, chars = [], [], 0
+            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
                 rows = list(rows_of(text))
                 ids += [i] * len(rows)
                 out += rows
+                chars += len(text)
+                if chars > MOST_CHARS and out:
+                    yield made(ids, out)
+                    ids, out, chars = [], [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(list(v), t) for v, (_, t, _) in zip(zip(*out), columns))], schema=schema)
+                yield made(ids, out)
+
+    def made(ids, out):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(list(v), t) for v, (_, t, _) in zip(zip(*out), columns))], schema=schema)
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
     return map_arrow(slim, run, "doc_id bigint, " + ", ".join(f"{c} {s}" for c, (_, _, s) in zip(names, columns)))
@@ -251,24 +263,30 @@ def parse_errors(docs: DataFrame) -> DataFrame:
     return _mapped(docs, lambda t: parse(t).errors, [("error", _STR, "string"), ("at", _INT, "int")])
 
 
+def _leaves(text: str) -> Iterator[tuple[int, int]]:
+    return ((a, b) for _, kind, _, a, b, _ in parse(text).rows if kind not in ("group", "environment"))
+
+
 def leaves(docs: DataFrame) -> DataFrame:
     """(doc_id, seq, start, end, text): the lossless sequence of leaves; joined in order they give the document."""
 
     def rows(text: str):
-        k = 0
-        for _, kind, _, a, b, _ in parse(text).rows:
-            if kind not in ("group", "environment"):
-                yield k, a, b, text[a:b]
-                k += 1
+        return ((k, a, b, text[a:b]) for k, (a, b) in enumerate(_leaves(text)))
 
     return _mapped(docs, rows, [("seq", _INT, "int"), ("start", _INT, "int"), ("end", _INT, "int"), ("text", _STR, "string")])
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_leaves, same): whether a document's leaves, put together again, are its text."""
-    joined = leaves(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_leaves"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), "").alias("again"))
-    texts = docs.where("text is not null").select("doc_id", F.col("text").alias("whole"))
-    return texts.join(joined, "doc_id", "left").select("doc_id", F.coalesce("n_leaves", F.lit(0).cast("bigint")).alias("n_leaves"), (F.coalesce("again", F.lit("")) == F.col("whole")).alias("same"))
+    """(doc_id, n_leaves, same): whether a document's leaves, put together again, are its text.
+
+    A document's leaves stay together, in one row beside its text, so nothing is shuffled.
+    """
+
+    def rows(text: str):
+        yield [text[a:b] for a, b in _leaves(text)], text
+
+    every = _mapped(docs, rows, [("parts", pa.list_(_STR), "array<string>"), ("whole", _STR, "string")])
+    return every.select("doc_id", F.size("parts").cast("bigint").alias("n_leaves"), (F.array_join("parts", "") == F.col("whole")).alias("same"))
 
 
 def paragraphs_at(docs: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 import struct
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 import pytest
 
+from proofmill import session
 from proofmill.operators import edits as ed
 from proofmill.operators import governance as gov
 from proofmill.operators import graphs, incremental, learning, macros, parsing, projects, readiness
@@ -51,6 +53,20 @@ def test_nodes_and_zones(spark):
     assert parsing.nodes(d.limit(0)).count() == 0
 
 
+def test_leaves_in_bounded_batches_and_without_a_join(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(parsing, "map_arrow", lambda df, fn, schema: given.append(fn) or session.map_arrow(df, fn, schema))
+    d = docs(spark, "a b $c$ " * 50, "", None)
+    parsing.leaves(d)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": ["a b $c$ " * 50] * 3000})
+    sizes = [b.num_rows for b in given[0]([batch])]
+    assert sum(sizes) == 3000 * 300 and max(sizes) < 250_000
+    again = parsing.round_trip(d)
+    assert {(r.doc_id, r.n_leaves, r.same) for r in again.collect()} == {(0, 300, True), (1, 0, True)}
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
 def test_macros(spark):
     text = r"\newcommand{\R}{\mathbb{R}}\newcommand{\pair}[2]{(#1, #2)}\def\a{\b}\def\b{\a}\newcommand{\opt}[2][x]{#1-#2}\newcommand{\begin}{no} \pair{\R}{$\frac{1}{2}$} \opt{y} \opt[z]{w} % \R"
     d = docs(spark, text, None, "plain", r"\def\grow{x\grow}\grow")
