@@ -478,18 +478,46 @@ def _scored(shared):
     return run
 
 
-def validated(model: CharModel, words: DataFrame, most_words: int = 3000, quantile: float = 0.999) -> CharModel:
-    """The model with its floor and margin set on a bounded, hash-chosen set of clean words.
+def _from_end(values: DataFrame, column: str, share: float, lowest: bool) -> float | None:
+    """The value that ``share`` of a column lies below (or above, unless ``lowest``), between two neighbours in proportion; None of an empty one."""
+    n = values.count()
+    at = share * (n - 1)
+    two = values.select(column).orderBy(F.col(column).asc() if lowest else F.col(column).desc()).offset(int(at)).limit(2).collect() if n else []
+    return two[0][0] + (two[-1][0] - two[0][0]) * (at - int(at)) if two else None
+
+
+def _log_odds(shared, gains: bool):
+    """For every word its log probability a character, or what its likeliest other reading gains."""
+
+    def run(batches):
+        counts, floor, costs = shared.value
+        model = CharModel(counts, floor=floor, costs=costs)
+        for b in batches:
+            words = b.column(0).to_pylist()
+            if gains:
+                out = [max(-1e9, max((x for x, _, _ in model.options(w)), default=-math.inf) - model.score(w)) for w in words]
+            else:
+                out = [model.score(w) / (len(w) + 1) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["x"])
+
+    return run
+
+
+def validated(model: CharModel, words: DataFrame, quantile: float = 0.999) -> CharModel:
+    """The model with its floor and margin set on all distinct clean words.
 
     The floor is the log probability a character that ``quantile`` of them exceed; the margin is what that share of
-    them doesn't gain by its likeliest other reading, ``MARGIN`` at least.
+    them doesn't gain by its likeliest other reading, ``MARGIN`` at least. The driver gets two numbers for each.
     """
-    chosen = [r.word for r in words.orderBy(F.xxhash64("word"), "word").limit(most_words).collect()]
-    if chosen:
-        scores = [model.score(w) for w in chosen]
-        model.floor = min(model.floor, float(np.quantile([s / (len(w) + 1) for s, w in zip(scores, chosen)], 1 - quantile)))
-        gains = [max((x for x, _, _ in model.options(w)), default=-math.inf) - s for s, w in zip(scores, chosen)]
-        model.margin = max(MARGIN, float(np.quantile(np.maximum(gains, -1e9), quantile)))
+    spark = words.sparkSession
+
+    def found(gains: bool) -> float | None:
+        shared = spark.sparkContext.broadcast((model.counts, model.floor, model.costs))
+        return _from_end(staged(map_arrow(words.select("word"), _log_odds(shared, gains), "x double"), "log-odds"), "x", 1 - quantile, lowest=not gains)
+
+    if (low := found(False)) is not None:
+        model.floor = min(model.floor, low)
+        model.margin = max(MARGIN, found(True))
     return model
 
 

@@ -303,6 +303,23 @@ def test_fragments_at_the_edges_of_windows(spark):
     assert window(part[1:].encode())[0] and judge.text("正文的" + part[6:])[1].endswith("算了索引，公式的标题。")
 
 
+def test_floor_and_margin_come_from_every_clean_word(spark):
+    # 9 of 6,000 words look like another reading, the last in the order of hashes; one in a thousand sets the margin
+    rng = np.random.default_rng(4)
+    other = spark.range(400).select(F.concat(F.lit("zzÃ©"), F.translate(F.col("id").cast("string"), "0123456789", "ghijklmnop")).alias("w"))
+    given = ["é" + "".join(rng.choice(list("abcdefgh"), 9)) for _ in range(5991)] + [r.w for r in other.orderBy(F.xxhash64("w").desc()).limit(9).collect()]
+    model = encoding.CharModel({"a": 50, "é": 40, "z": 20, "b": 30}, floor=-1.0)
+    scores = {w: model.score(w) for w in given}
+    floor = min(-1.0, float(np.quantile([scores[w] / (len(w) + 1) for w in given], 0.001)))
+    bare = encoding.CharModel(model.counts, floor=floor)
+    gains = [max(-1e9, max((x for x, _, _ in bare.options(w)), default=-np.inf) - scores[w]) for w in given]
+    got = encoding.validated(model, spark.createDataFrame([(w, 1) for w in given], "word string, n bigint"))
+    assert got.floor == pytest.approx(floor) and got.margin == pytest.approx(max(encoding.MARGIN, float(np.quantile(gains, 0.999))))
+    assert got.margin > encoding.MARGIN
+    empty = encoding.validated(encoding.CharModel({}), spark.createDataFrame([], "word string, n bigint"))
+    assert (empty.floor, empty.margin) == (-6.0, encoding.MARGIN)
+
+
 def test_ngrams_of_long_words(spark):
     long = "".join(chr(0x4E00 + i * 7 % 900) for i in range(1237))
     given = {long: 2, "Größe": 3, "é": 1, "é" + "x" * 396: 5}
