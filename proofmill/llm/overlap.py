@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from proofmill.functions.paths import file_source
 from proofmill.llm.words import _ODD, mix, run_hashes, set_key, word_hashes
 from proofmill.operators.skew import salted_join
-from proofmill.session import map_arrow, staged
+from proofmill.session import dropped, map_arrow, staged
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -347,13 +347,14 @@ def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: s
     spark = df.sparkSession
     split = F.lower(F.trim(F.col(split_col)))
     slim = df.select(F.col(id_col).cast("bigint").alias("id"), split.isin(*held_out).alias("held_out"), F.col(text_col).alias("text"), split.alias("s")).where(F.col("s").isin(*held_out, *train) & F.col("id").isNotNull() & (F.length("text") > 0)).drop("s")
-    blocks = staged(map_arrow(slim, _blocks(width), _TEXTS + ", ids binary, set_keys binary"), "blocks")
+    blocks = staged(map_arrow(slim, _blocks(width), _TEXTS + ", ids binary, set_keys binary"), "blocks", "zstd")
     keys = map_arrow(blocks.select("ids", "held_out", "set_keys", "records"), _keys, "id bigint, held_out boolean, set_key binary, rep bigint", spread=False)
     reps = keys.groupBy("held_out", "set_key").agg(F.min("rep").alias("rep"))
     members = staged(keys.drop("rep").distinct().join(reps, ["held_out", "set_key"]).select("id", "held_out", "rep"), "members")
     kept = members.select("rep").distinct().groupBy(F.floor(F.col("rep") / BLOCK).alias("block")).agg(F.collect_list("rep").alias("kept"))
     columns = [x.split()[0] for x in _TEXTS.split(", ")]
-    first = staged(map_arrow(blocks.select(*columns).join(kept, "block").select(*columns, "kept"), _kept, _TEXTS, spread=False), "classes")
+    first = staged(map_arrow(blocks.select(*columns).join(kept, "block").select(*columns, "kept"), _kept, _TEXTS, spread=False), "classes", "zstd")
+    dropped(blocks)
     of_held, of_train = first.where("held_out"), first.where("not held_out")
 
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
